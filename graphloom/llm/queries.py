@@ -6,12 +6,23 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import bpe, truncation
+from . import bpe, similar, truncation
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
 
+@query("p1_found")
+def p1_found(spark, d):
+    return similar.similar_pairs(table(spark, d, "nodes"))
+
+
+@query("p1_recall")
+def p1_recall(spark, d):
+    """Recall of the index against brute force."""
+    return similar.recall_report(table(spark, d, "nodes"))
+
+
 @query("p7_ids")
 def p7_ids(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"))
