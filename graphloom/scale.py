@@ -121,3 +121,37 @@ def number_rows(df: DataFrame, order: list[str], scratch: Scratch, name: str = "
 def salted(keys: list[str], salts: int) -> Column:
     """A salt that spreads one key over several tasks, the same for equal rows."""
     return F.pmod(F.xxhash64(*keys), F.lit(salts))
+
+
+def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch: Scratch, name: str = "before", partitions: int | None = None) -> DataFrame:
+    """For each row the sum of value over the rows before it in its group, in
+    the given order. Rows are range-partitioned by group and order and summed
+    within partitions; the driver sees one total for each partition and group
+    in it, so no group is held by one task."""
+    import pandas as pd
+    from pyspark import TaskContext
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+
+    def run(batches):
+        at: dict = {}
+        pid = TaskContext.get().partitionId()
+        for pdf in batches:
+            for g, part in pdf.groupby(group, sort=False):
+                sums = part[value].cumsum()
+                yield part.assign(_local=sums - part[value] + at.get(g, 0), _pid=pid)
+                at[g] = at.get(g, 0) + int(sums.iloc[-1])
+        if False:
+            yield pd.DataFrame()
+
+    kept = scratch.keep(ranged.mapInPandas(run, ", ".join([*fields, "_local long", "_pid int"])))
+    totals = kept.groupBy(group, "_pid").agg(F.sum(value).alias("t")).orderBy(group, "_pid").collect()
+    at, offsets = {}, []
+    for g, pid, t in totals:
+        offsets.append((g, pid, at.get(g, 0)))
+        at[g] = at.get(g, 0) + t
+    kind = df.schema[group].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(offsets, f"`{group}` {kind}, _pid int, _off long")
+    return kept.join(F.broadcast(table), [group, "_pid"]).withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
