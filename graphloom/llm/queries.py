@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import bpe, similar, truncation
+from . import bpe, mixing, similar, truncation
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -43,3 +43,15 @@ def p9_found(spark, d):
 @query("p9_rates")
 def p9_rates(spark, d):
     return truncation.cut_rates(table(spark, d, "documents"))
+
+
+@query("p8_selection")
+def p8_selection(spark, d):
+    """The documents of the mix and how often each is used."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark, d):
+    """Target and reached share of each source."""
+    return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
