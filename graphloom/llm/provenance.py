@@ -117,7 +117,9 @@ def evidence(path: str | None, content: str | None) -> list[float]:
     return e
 
 
-_DATA = re.compile(r"^\s*(?:[\[\](){},;]|-?\d[\w.+-]*|\"[^\"]*\"|'[^']*'|0x[0-9a-fA-F]+|[\w.+/=-]+\s*[:;,|]|[|;,]|\s|\w+)+$(?<![{(])")
+# A line of values and keys only. Each sign can be read in one way, so that a
+# line that is none fails in time linear in its length.
+_DATA = re.compile(r"^(?:[\[\](){},;|\s]|\"[^\"]*\"|'[^']*'|[\w.+/=-]++\s*+[:;,|]|(?:[^\W\d]++(?:-?\d[\w.+-]*+)?|-?\d[\w.+-]*+)(?![\w.+/=-]))++$(?<![{(])")
 
 
 def _log_sum(parts: list[Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..sources.tables import table
-from . import bpe, mixing, similar, truncation
+from . import bpe, mixing, provenance, similar, truncation
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -23,6 +23,12 @@ def p1_recall(spark, d):
     return similar.recall_report(table(spark, d, "nodes"))
 
 
+@query("p4_found")
+def p4_found(spark, d):
+    """Files that nobody wrote by hand here."""
+    return provenance.label_files(table(spark, d, "source_files")).where("label <> 'handwritten'").select("repo_id", "file_path")
+
+
 @query("p7_ids")
 def p7_ids(spark, d):
     return bpe.encode_documents(table(spark, d, "documents"))
