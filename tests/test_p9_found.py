@@ -1,0 +1,40 @@
+"""Cut texts: hot template families, and texts cut after a closing sign."""
+
+from __future__ import annotations
+
+import os
+import random
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from compare import session
+
+from graphloom.llm.truncation import cut_texts
+
+
+def found(rows):
+    docs = session().createDataFrame(rows, "doc_id long, source string, text string")
+    return {r.doc_id: r.reason for r in cut_texts(docs).collect()}
+
+
+def word(r):
+    return "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+
+
+def test_continuation_within_a_hot_template():
+    r = random.Random(5)
+    shared = " ".join(word(r) for _ in range(200))
+    rows, cut = [], []
+    for i in range(400):
+        own = [word(r) for _ in range(r.randint(6, 12))]
+        rows.append((i, "s", f"{shared} {' '.join(own)}."))
+        if i % 10 == 0:
+            # ends after a full stop that is not the last one: only the continuation tells
+            own[3] += ".x"
+            rows[-1] = (i, "s", f"{shared} {' '.join(own)}.")
+            rows.append((1000 + i, "s", f"{shared} {' '.join(own[:3])} {own[3][:-1]}"))
+            cut.append(1000 + i)
+    got = found(rows)
+    assert sorted(got) == cut
+    assert set(got.values()) == {"copy"}
