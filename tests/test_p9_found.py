@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from compare import session
 
-from graphloom.llm.truncation import cut_texts
+from graphloom.llm.truncation import cut_texts, ending
 
 
 def found(rows):
@@ -38,3 +38,23 @@ def test_continuation_within_a_hot_template():
     got = found(rows)
     assert sorted(got) == cut
     assert set(got.values()) == {"copy"}
+
+
+def test_endings():
+    assert ending("Steps:\n- [x]") == ending("see `a`") == ending("f(x)") == "sign"
+    assert ending('He said "stop."') == ending("(All of it.)") == ending("Done.") == "done"
+
+
+def test_cut_after_a_closing_sign():
+    r = random.Random(6)
+    rows = [(i, "pr", " ".join(word(r) for _ in range(40))[:300]) for i in range(4)]
+    rows.append((10, "pr", " ".join(word(r) for _ in range(40))[:293] + "x\n- [ ]"))
+    # a full copy of a text that stops after a bracket
+    body = " ".join(word(r) for _ in range(60)) + " (as it is)"
+    rows += [(20, "notes", body), (21, "notes", body + " and then there is more to say about all of it.")]
+    # finished texts that end on a sign, at no limit and without a continuation
+    rows += [(30, "pr", " ".join(word(r) for _ in range(20)) + " (done)"), (31, "notes", " ".join(word(r) for _ in range(25)) + " `end`")]
+    got = found(rows)
+    assert got.get(10) == "limit"
+    assert got.get(20) == "copy"
+    assert not {21, 30, 31} & set(got)
