@@ -1,6 +1,6 @@
 """All registries of the core, and the flagship query."""
 
-from . import general_problems
+from . import general_problems, graph_queries
 
-FLAGSHIP = "p6_found"
-REGISTRIES = [general_problems.REGISTRY]
+FLAGSHIP = "g43_package_dependency_rollup"
+REGISTRIES = [general_problems.REGISTRY, graph_queries.REGISTRY]
