@@ -1,6 +1,6 @@
 """All registries of the core, and the flagship query."""
 
-from . import general_problems, graph_queries
+from . import general_problems, graph_queries, usage_queries
 
 FLAGSHIP = "g43_package_dependency_rollup"
-REGISTRIES = [general_problems.REGISTRY, graph_queries.REGISTRY]
+REGISTRIES = [m.REGISTRY for m in (general_problems, graph_queries, usage_queries)]
