@@ -1,11 +1,13 @@
 """The most similar vectors of every vector.
 
-A hierarchical k-means tree is fitted on a bounded sample and every vector is
-filed in a leaf. Every vector then walks the tree best-bin-first through a
-priority queue and visits as many leaves as calibration asks for: the visits
-are widened until the recall, measured against brute force for a set of query
-vectors, reaches the target. Leaves and their visitors meet in blocks, so a
-crowded leaf is spread over many tasks; equal vectors are searched once."""
+A hierarchical k-means tree is fitted on a bounded sample, its lower part on
+executors where the collection needs more leaves than the sample can tell
+apart, and every vector is filed in a leaf. Every vector then walks the tree
+best-bin-first through a priority queue and visits as many leaves as
+calibration asks for: the visits are widened until the recall, measured against
+brute force for query vectors outside the sample, reaches the target. Leaves
+below one node and their visitors meet as a group, to which a visitor is sent
+once; crowded groups are spread over many tasks; equal vectors are searched once."""
 
 from __future__ import annotations
 
@@ -13,20 +15,22 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scale import Scratch, skew_join
 
-#: Vectors that the tree is fitted on at most (bound on the driver: 16 MB), and that calibration asks for.
-SAMPLE, PROBES = 60_000, 2_000
-#: Children of a tree node, and vectors wanted in a leaf.
-BRANCH, LEAF = 16, 160
+#: Vectors that a tree is fitted on at most in one place (bound on the driver: 16 MB), and least sample for one leaf.
+SAMPLE, LEAF_SAMPLE = 60_000, 24
+#: Query vectors that calibration starts with, those it goes up to, and the true pairs it asks for.
+PROBES, PROBES_MOST, PAIRS = 2_000, 16_000, 200
+#: Children of a tree node, vectors wanted in a leaf, leaves at most (bound on what every task holds: 51 MB), and top leaves that grow on executors.
+BRANCH, LEAF, LEAVES, TOP = 16, 1024, 200_000, 512
 #: Recall that calibration must reach over the probes.
 RECALL = 0.995
-#: Vectors and visitors in one block of a leaf.
-BLOCK, VISITORS = 4096, 16384
+#: Vectors and visitors in one block of a group.
+BLOCK, VISITORS = 65_536, 65_536
 
 
 class Tree:
@@ -71,8 +75,25 @@ class Tree:
         self.leaves = [i for i, c in enumerate(self.children) if not len(c)]
         self.number = {n: i for i, n in enumerate(self.leaves)}
         self.stacked = [np.stack([self.centers[j] for j in c]) if len(c) else None for c in self.children]
+        above = {int(j): i for i, c in enumerate(self.children) for j in c}
+        self.group = np.array([above.get(n, 0) for n in self.leaves], dtype=np.int32)
         return self
 
+    def graft(self, parts: dict[int, list[tuple[int, int, bytes]]]) -> Tree:
+        """Put grown subtrees in the place of leaves: by leaf number the rows
+        (node, parent, center) of a subtree, its root 0 being the leaf."""
+        old = list(self.leaves)
+        for number, rows in parts.items():
+            at = {0: old[number]}
+            below: dict[int, list[int]] = {}
+            for node, parent, center in sorted(rows):
+                if node:
+                    at[node] = self._add(np.frombuffer(center, dtype=np.float32))
+                    below.setdefault(parent, []).append(at[node])
+            for parent, nodes in below.items():
+                self.children[at[parent]] = np.array(nodes)
+        return self.seal()
+
     def file(self, x: np.ndarray) -> np.ndarray:
         """Leaf numbers of vectors, by the nearest centre at each level."""
         out = np.zeros(len(x), dtype=np.int32)
@@ -109,8 +130,10 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> t
     label = np.zeros(len(x), dtype=int)
     for _ in range(steps):
         label = (x @ centers.T).argmax(axis=1)
+        order = np.argsort(label, kind="stable")
+        used, first = np.unique(label[order], return_index=True)
         sums = np.zeros((k, x.shape[1]))
-        np.add.at(sums, label, x)
+        sums[used] = np.add.reduceat(x[order].astype(np.float64), first, axis=0)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers).astype(np.float32)
     return (x @ centers.T).argmax(axis=1), centers
@@ -138,6 +161,22 @@ def usable_vectors(rows: DataFrame, width: int) -> DataFrame:
     return good.groupBy("id").agg(F.min("embedding").alias("embedding")).select("id", pack("embedding").alias("v"))
 
 
+def _draw(column: str, seed: int, share: float) -> Column:
+    """A share of the rows by a hash, the same whatever the layout."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 32)) < F.lit(int(min(1.0, share) * (1 << 32)))
+
+
+def _near(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of similarities of at least least; of rows with many,
+    the k greatest at least."""
+    if least > -1 and (many := np.count_nonzero(s >= least)) <= 4 * k * len(s):
+        return np.nonzero(s >= least) if many else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    i, j = np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
+    ok = s[i, j] >= least
+    return i[ok], j[ok]
+
+
 def _truth(reps: DataFrame, probes: list, k: int, least: float, tree: Tree) -> DataFrame:
     """Exact neighbours of the probe vectors by brute force over all vectors:
     probe, gid, s and the leaf of the neighbour. The probes are bounded, so
@@ -147,17 +186,14 @@ def _truth(reps: DataFrame, probes: list, k: int, least: float, tree: Tree) -> D
 
     def scan(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _stack(pdf.v)
-            leaf = tree.file(x)
-            s = q @ x.T
-            top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, : k + 1]
-            i = np.repeat(np.arange(len(q)), top.shape[1])
-            j = top.ravel()
-            ok = s[i, j] >= least
-            i, j = i[ok], j[ok]
-            yield pd.DataFrame({"probe": i.astype("int32"), "gid": pdf.gid.to_numpy()[j], "s": s[i, j].astype("float64"), "leaf": leaf[j]})
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                x = _stack(part.v)
+                leaf = tree.file(x)
+                s = q @ x.T
+                # one more than k, as a probe meets itself
+                i, j = _near(s, k + 1, least)
+                yield pd.DataFrame({"probe": i.astype("int32"), "gid": part.gid.to_numpy()[j], "s": s[i, j].astype("float64"), "leaf": leaf[j]})
 
     found = reps.select("gid", "v").mapInPandas(scan, "probe int, gid string, s double, leaf int")
     mine = reps.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "probe int, own string")
@@ -168,7 +204,7 @@ def _truth(reps: DataFrame, probes: list, k: int, least: float, tree: Tree) -> D
 class Index:
     """A fitted and calibrated search tree over the vectors of a table."""
 
-    def __init__(self, vectors: DataFrame, k: int = 5, least: float = -1.0, recall: float = RECALL, scratch: Scratch | None = None):
+    def __init__(self, vectors: DataFrame, k: int = 5, least: float = -1.0, recall: float = RECALL, scratch: Scratch | None = None, leaf: int = LEAF, sample: int = SAMPLE):
         self.k, self.least = k, least
         self.scratch = scratch or Scratch(vectors.sparkSession, "similar")
         keyed = self.scratch.keep(vectors.withColumn("gid", F.md5("v")))
@@ -177,37 +213,67 @@ class Index:
         self.heads = self.scratch.keep(ranked)
         self.members = keyed.select("id", "gid")
         self.reps = self.heads.where("r = 1").select("gid", "v")
-        n = self.reps.count()
-        # gid is a hash, so its order is random; the same rows come whatever the layout
-        sample = self.reps.orderBy("gid").limit(SAMPLE).collect()
+        self.n = self.reps.count()
+        self.leaf = max(leaf, self.n // LEAVES)
         self.tree = Tree()
-        self.visits, self.measured = 1, 1.0
-        if not sample:
+        self.visits, self.measured, self.pairs = 1, 1.0, 0
+        self._fit(sample)
+        if self.n:
+            self._calibrate(recall)
+
+    def _fit(self, most: int) -> None:
+        """Fit the tree; where most vectors cannot tell all leaves apart, grow
+        the leaves of a small top tree on executors, each on at most most."""
+        share = most / max(1, self.n)
+        x = _stack(pd.Series([bytes(r.v) for r in self.reps.where(_draw("gid", 1, share)).collect()])) if self.n else np.zeros((0, 1), dtype=np.float32)
+        if not len(x):
             self.tree._add(np.zeros(1, dtype=np.float32))
             self.tree.seal()
             return
-        x = np.frombuffer(b"".join(bytes(r.v) for r in sample), dtype=np.float32).reshape(len(sample), -1)
-        self.tree.fit(x, max(24, LEAF * len(sample) // max(n, 1)))
-        self._calibrate(sample[:PROBES], recall)
-
-    def _calibrate(self, probes: list, recall: float) -> None:
-        """Widen the visits until the probes' neighbours are found."""
-        truth = _truth(self.reps, probes, self.k, self.least, self.tree).select("probe", "leaf").collect()
-        self.visits, self.measured = 1, 1.0
-        if not truth:
+        grown = self.n // self.leaf * LEAF_SAMPLE > most
+        self.tree.fit(x, max(LEAF_SAMPLE, len(x) // TOP) if grown else max(LEAF_SAMPLE, int(self.leaf * len(x) / self.n)))
+        if not grown:
             return
-        leaves = len(self.tree.leaves)
-        q = [np.frombuffer(bytes(r.v), dtype=np.float32) for r in probes]
-        wanted: dict[int, list[int]] = {}
-        for r in truth:
-            wanted.setdefault(r.probe, []).append(r.leaf)
-        ranks = []
-        for p, found in wanted.items():
-            at = {leaf: i for i, leaf in enumerate(self.tree.visit(q[p], leaves))}
-            ranks += [at[x] for x in found]
-        ranks = np.sort(np.array(ranks))
-        self.visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
-        self.measured = float((ranks < self.visits).mean())
+        tree, want, seen = self.tree, LEAF_SAMPLE, 2 * LEAF_SAMPLE / self.leaf
+
+        @F.pandas_udf(T.IntegerType())
+        def file(v: pd.Series) -> pd.Series:
+            return pd.Series(tree.file(_stack(v)))
+
+        def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+            sub = Tree().fit(_stack(pdf.v.iloc[:most]), max(want, 2 * want * most // max(most, len(pdf))))
+            above = {int(j): i for i, c in enumerate(sub.children) for j in c}
+            return pd.DataFrame({"top": int(pdf.top.iloc[0]), "node": range(len(sub.centers)), "parent": [above.get(i, -1) for i in range(len(sub.centers))], "center": [c.astype(np.float32).tobytes() for c in sub.centers]})
+
+        rows = self.reps.where(_draw("gid", 2, seen)).select("v", file("v").alias("top")).groupBy("top").applyInPandas(grow, "top int, node int, parent int, center binary").collect()
+        parts: dict[int, list] = {}
+        for r in rows:
+            parts.setdefault(r.top, []).append((r.node, r.parent, bytes(r.center)))
+        self.tree.graft(parts)
+
+    def _calibrate(self, recall: float) -> None:
+        """Widen the visits until the probes' neighbours are found. Where few
+        probes have a neighbour, more are drawn."""
+        leaves, want, asked = len(self.tree.leaves), PROBES, 0
+        ranks: list[int] = []
+        while asked < min(self.n, PROBES_MOST) and self.pairs < PAIRS:
+            low, high = asked / self.n, min(1.0, want / self.n)
+            part = self.reps.where(_draw("gid", 3, high) & ~_draw("gid", 3, low)).collect()
+            asked, want = want, min(PROBES_MOST, want * 2)
+            # a task holds PROBES query vectors at a time
+            for at in range(0, len(part), PROBES):
+                probes = part[at : at + PROBES]
+                wanted: dict[int, list[int]] = {}
+                for r in _truth(self.reps, probes, self.k, self.least, self.tree).select("probe", "leaf").collect():
+                    wanted.setdefault(r.probe, []).append(r.leaf)
+                for p, found in wanted.items():
+                    order = {leaf: i for i, leaf in enumerate(self.tree.visit(np.frombuffer(bytes(probes[p].v), dtype=np.float32), leaves))}
+                    ranks += [order[x] for x in found]
+                self.pairs = len(ranks)
+        if ranks:
+            r = np.sort(np.array(ranks))
+            self.visits = int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1
+            self.measured = float((r < self.visits).mean())
 
     def neighbours(self) -> DataFrame:
         """gid, other, s: for each distinct vector its k most similar other
@@ -223,39 +289,43 @@ class Index:
             return pd.Series([np.array(tree.visit(r, visits), dtype=np.int32) for r in _stack(v)], dtype=object)
 
         filed = self.scratch.keep(self.reps.select("gid", "v", file("v").alias("leaf"), visit("v").alias("visited")))
-        asked = filed.select("gid", "v", F.explode("visited").alias("leaf"))
-        # one row for each leaf, of which there are a bounded number
-        blocks = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-        crowd = filed.select(F.explode("visited").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("nq"))
-        plan = F.broadcast(self.scratch.keep(blocks.join(crowd, "leaf")))
+        # leaf to group, one row for each of the at most LEAVES leaves
+        groups = F.broadcast(self.scratch.keep(self.reps.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(tree.group)], "leaf int, grp int")))
+        homed = filed.select("gid", "v", "leaf").join(groups, "leaf")
+        # a visitor is sent to a group once, with the leaves it visits there
+        asked = filed.select("gid", F.explode("visited").alias("leaf")).join(groups, "leaf").groupBy("gid", "grp").agg(F.collect_list("leaf").alias("leaves"))
+        asked = self.scratch.keep(asked)
+        blocks = homed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+        crowd = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("nq"))
+        plan = F.broadcast(self.scratch.keep(blocks.join(crowd, "grp")))
         salt = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = filed.drop("visited").join(plan, "leaf").select("leaf", salt("nb").alias("b"), every("nq").alias("q"), "gid", "v")
-        right = asked.join(plan, "leaf").select(F.col("leaf").alias("leaf_"), salt("nq").alias("q_"), every("nb").alias("b_"), F.col("gid").alias("ask"), F.col("v").alias("w"))
+        left = homed.join(plan, "grp").select("grp", salt("nb").alias("b"), every("nq").alias("q"), "gid", "v", "leaf")
+        right = asked.join(plan, "grp").join(filed.select("gid", "v"), "gid").select(F.col("grp").alias("grp_"), salt("nq").alias("q_"), every("nb").alias("b_"), F.col("gid").alias("ask"), F.col("v").alias("w"), "leaves")
 
         def meet(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"gid": pd.Series(dtype=object), "other": pd.Series(dtype=object), "s": pd.Series(dtype=float)})
             if not len(data) or not len(ask):
                 return none
             x, q = _stack(data.v), _stack(ask.w)
-            ids, names = data.gid.to_numpy(), ask["ask"].to_numpy()
+            ids, names, leaf = data.gid.to_numpy(), ask["ask"].to_numpy(), data.leaf.to_numpy()
+            who = np.repeat(np.arange(len(q)), [len(v) for v in ask.leaves])
+            where = np.concatenate(ask.leaves.to_list())
             out = []
-            for i in range(0, len(q), 2048):
-                s = q[i : i + 2048] @ x.T
-                s[names[i : i + 2048, None] == ids[None, :]] = -2
-                if s.shape[1] > k:
-                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                else:
-                    top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-                r = np.repeat(np.arange(len(s)), top.shape[1])
-                c = top.ravel()
-                ok = s[r, c] >= max(least, -1.5) - 1e-6
-                r, c = r[ok], c[ok]
-                exact = np.einsum("ij,ij->i", q[i + r].astype(np.float64), x[c].astype(np.float64))
-                out.append(pd.DataFrame({"gid": names[i + r], "other": ids[c], "s": exact}))
-            return pd.concat(out)
-
-        found = left.groupBy("leaf", "b", "q").cogroup(right.groupBy("leaf_", "b_", "q_")).applyInPandas(meet, "gid string, other string, s double")
+            for one in np.unique(leaf):
+                c_all, r_all = np.flatnonzero(leaf == one), who[where == one]
+                for i in range(0, len(r_all), 2048):
+                    r_part = r_all[i : i + 2048]
+                    # one more than k, as a vector meets itself
+                    r, c = _near(q[r_part] @ x[c_all].T, k + 1, least - 1e-6 if least > -1 else least - 1)
+                    r, c = r_part[r], c_all[c]
+                    other = names[r] != ids[c]
+                    r, c = r[other], c[other]
+                    if len(r):
+                        out.append(pd.DataFrame({"gid": names[r], "other": ids[c], "s": np.einsum("ij,ij->i", q[r].astype(np.float64), x[c].astype(np.float64))}))
+            return pd.concat(out) if out else none
+
+        found = left.groupBy("grp", "b", "q").cogroup(right.groupBy("grp_", "b_", "q_")).applyInPandas(meet, "gid string, other string, s double")
         w = Window.partitionBy("gid").orderBy(F.desc("s"), "other")
         return found.where(F.col("s") >= least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("gid", "other", "s")
 
