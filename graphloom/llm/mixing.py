@@ -1,14 +1,16 @@
 """Mixing sources to target weights, by min-cost flow.
 
-Records are distinct texts; the sources that hold a text are its membership
-pattern. Patterns supply tokens, sources demand their share of the total, and
-every further use of a pattern's records costs more, so repeats are spread
-evenly and only where a source needs them. The flow is solved over patterns;
-documents are then picked in a seeded order by their place on the token line."""
+Every document supplies its tokens to its own source; the sources that hold
+its text are its membership pattern. Patterns supply tokens, sources demand
+their share of the total, and every further use of a pattern's texts costs
+more, so that a text which several sources hold is repeated last and repeats
+are spread evenly. The flow is solved over patterns; documents are then picked
+in a seeded order by their place on the token line."""
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,9 +47,9 @@ class Flow:
         """Send as much as possible at the least cost; returns the amount."""
         sent = 0
         while True:
-            dist, via, queue, waiting = {s: 0}, {}, [s], {s}
+            dist, via, queue, waiting = {s: 0}, {}, deque([s]), {s}
             while queue:
-                u = queue.pop(0)
+                u = queue.popleft()
                 waiting.discard(u)
                 for e in self.out[u]:
                     v = self.to[e]
@@ -78,43 +80,43 @@ class Plan:
     routed: dict[tuple[str, str], int]
 
 
-def _solve(tokens: dict[str, int], members: dict[str, list[str]], repeats: dict[str, int], quota: dict[str, int]) -> tuple[int, dict]:
+#: Patterns at most; those beyond the largest are routed as their sources apart, without the cost of a shared text.
+PATTERNS = 4096
+
+
+def _solve(texts: dict[str, int], supply: dict[tuple[str, str], int], repeats: dict[str, int], quota: dict[str, int]) -> tuple[int, dict]:
     net = Flow()
     net.arc("s", "t", 0)
     arcs = {}
-    for p, size in tokens.items():
-        for use in range(sum(repeats[s] for s in members[p])):
+    for p, size in texts.items():
+        room = sum(n * repeats[s] for (q, s), n in supply.items() if q == p)
+        # convex: each use of the whole pattern costs one more than the use before
+        for use in range(max(1, min(8, -(-room // size)))):
             net.arc("s", ("p", p), size, use)
-        for s in members[p]:
-            arcs[p, s] = net.arc(("p", p), ("q", s), size * repeats[s])
+        net.arc("s", ("p", p), room, 8)
+    for (p, s), n in supply.items():
+        arcs[p, s] = net.arc(("p", p), ("q", s), n * repeats[s])
     for s, q in quota.items():
         net.arc(("q", s), "t", q)
     return net.run("s", "t"), {k: net.used(a) for k, a in arcs.items()}
 
 
-def plan_flow(tokens: dict[str, int], members: dict[str, list[str]], weights: dict[str, float], repeats: dict[str, int], total: int | None = None) -> Plan:
-    """Route tokens of patterns to sources. Without a total, the largest is
-    taken at which every source with text and weight gets its full share."""
-    alive = {s for p, size in tokens.items() if size > 0 for s in members[p] if weights[s] > 0 and repeats[s] > 0}
-    weight = sum(weights[s] for s in alive)
-    if not alive:
+def plan_flow(texts: dict[str, int], supply: dict[tuple[str, str], int], weights: dict[str, float], repeats: dict[str, int], total: int | None = None) -> Plan:
+    """Route tokens to sources. texts: tokens of the distinct texts of each
+    pattern. supply: tokens of the documents of a source in a pattern. Without
+    a total, the largest is taken at which every source with text and weight
+    gets its full share."""
+    supply = {(p, s): n for (p, s), n in supply.items() if n > 0 and weights[s] > 0 and repeats[s] > 0}
+    have = {s: sum(n for (_, x), n in supply.items() if x == s) * repeats[s] for s in {s for _, s in supply}}
+    weight = sum(weights[s] for s in have)
+    if not have:
         return Plan(0, {}, {})
-    quotas = lambda t: {s: int(t * weights[s] / weight) for s in sorted(alive)}
-    kept = {p: [s for s in m if s in alive] for p, m in members.items()}
-    kept = {p: m for p, m in kept.items() if m and tokens[p] > 0}
-    tokens = {p: tokens[p] for p in kept}
+    texts = {p: n for p, n in texts.items() if any(q == p for q, _ in supply)}
     if total is None:
-        low, high = 0, sum(tokens[p] * sum(repeats[s] for s in m) for p, m in kept.items()) + 1
-        while high - low > 1:
-            mid = (low + high) // 2
-            q = quotas(mid)
-            if _solve(tokens, kept, repeats, q)[0] == sum(q.values()):
-                low = mid
-            else:
-                high = mid
-        total = low
-    quota = quotas(total)
-    return Plan(total, quota, _solve(tokens, kept, repeats, quota)[1])
+        # a document serves its own source, so the scarcest source bounds the whole
+        total = int(min(have[s] * weight / weights[s] for s in have))
+    quota = {s: min(have[s], int(total * weights[s] / weight)) for s in sorted(have)} if total else {}
+    return Plan(total, quota, _solve(texts, supply, repeats, quota)[1])
 
 
 def targets_of(targets: DataFrame) -> list:
@@ -129,11 +131,13 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     """doc_id, source, uses, n_tokens: the documents of the mix, how often
     each is used (1 to max_repeats of its source) and its size in tokens.
 
-    A text that several documents of one source hold is one record there and
-    stands as its least doc_id; a text that several sources hold can serve any
-    of them. Sources without text or weight get nothing, the others share the
-    total by weight. Shares are met up to one document for each pattern and
-    source. Null and empty texts have no tokens and are never used."""
+    Every document is supply of its own source, also where others hold the same
+    text; the first document of a text in its source comes before its copies.
+    Sources without text or weight get nothing, the others share the total by
+    weight. A document counts where most of it lies within the share, so a
+    share is met up to half a document for each pattern. Null and empty texts
+    have no tokens and are never used. A repeated doc_id counts once, with its
+    least source and text hash."""
     scratch = Scratch(documents.sparkSession, "mixing")
     rows = {r.source: r for r in targets_of(targets)}
     weights = {s: float(r.weight) for s, r in rows.items()}
@@ -141,27 +145,28 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     spark = documents.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(s,) for s in rows] or [("",)], "source string"))
     docs = documents.where("doc_id is not null and text <> ''").select("doc_id", "source", "text").join(wanted, "source")
-    held = scratch.keep(docs.withColumn("key", F.sha2("text", 256)).groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text")))
-    sized = held.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("source")), "\u0001").alias("pattern"), F.min("text").alias("text"))
-    records = scratch.keep(sized.select("key", "pattern", token_count(F.col("text"), folder=folder).alias("n_tokens")).where("n_tokens > 0"))
-    # patterns are sets of the sources in the target table
-    tokens = {r.pattern: int(r.n) for r in records.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
-    members = {p: p.split("\u0001") for p in tokens}
-    plan = plan_flow(tokens, members, weights, repeats, total)
-    spans = []
-    for p in tokens:
-        at = 0
-        for s in members[p]:
-            n = plan.routed.get((p, s), 0)
-            if n:
-                spans.append((p, s, at, at + n, tokens[p]))
-                at += n
-    line = prefix_sums(records.withColumn("_o", F.xxhash64(F.lit(seed), "key")), "pattern", ["_o", "key"], "n_tokens", scratch)
-    table = F.broadcast(spark.createDataFrame(spans, "pattern string, source string, a long, b long, lap long"))
-    # a record is used by a source once for every lap in which its place lies in the source's span
-    laps = lambda end: F.greatest(F.lit(0), F.ceil((F.col(end) - F.col("before")) / F.col("lap")))
-    picked = line.join(table, "pattern").withColumn("uses", (laps("b") - laps("a")).cast("int")).where("uses > 0").select("key", "source", "uses", "n_tokens")
-    return picked.join(held.select("key", "source", "doc_id"), ["key", "source"]).select("doc_id", "source", "uses", "n_tokens")
+    # counted before any shuffle and kept, so each text is encoded once and no text is moved
+    sized = scratch.keep(docs.select("doc_id", "source", F.sha2("text", 256).alias("key"), token_count(F.col("text"), folder=folder).alias("n_tokens")))
+    once = sized.where("n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "key", "n_tokens")).alias("d")).select("doc_id", "d.*")
+    held = once.groupBy("key", "source").agg(F.min("doc_id").alias("first"), F.max("n_tokens").alias("size"))
+    shared = held.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("source")), "\u0001").alias("pattern"))
+    known = scratch.keep(held.join(shared, "key").select("key", "source", "first", "pattern", "size"))
+    records = scratch.keep(skew_join(once, known, ["key", "source"]).select("doc_id", "source", "pattern", "n_tokens", (F.col("doc_id") != F.col("first")).alias("copy")))
+    large = known.groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(PATTERNS + 1).collect()
+    if len(large) > PATTERNS:
+        records = scratch.keep(records.withColumn("pattern", F.when(F.col("pattern").isin([r.pattern for r in large[:PATTERNS]]), F.col("pattern")).otherwise(F.col("source"))))
+    supply = {(r.pattern, r.source): int(r.n) for r in records.groupBy("pattern", "source").agg(F.sum("n_tokens").alias("n")).collect()}
+    texts = {r.pattern: int(r.n) for r in records.where("not copy").groupBy("pattern").agg(F.max("n_tokens"), F.sum("n_tokens").alias("n")).collect()}
+    texts = {p: max(1, n // max(1, p.count("\u0001") + 1)) for p, n in texts.items()}
+    plan = plan_flow(texts, supply, weights, repeats, total)
+    spans = [(f"{p}\u0002{s}", n, supply[p, s], repeats[s]) for (p, s), n in plan.routed.items() if n]
+    line = records.select("doc_id", "source", "n_tokens", F.concat_ws("\u0002", "pattern", "source").alias("part"), F.struct("copy", F.xxhash64(F.lit(seed), "doc_id").alias("o")).alias("_o"))
+    line = prefix_sums(line.select("doc_id", "source", "n_tokens", "part", F.col("_o.copy").cast("int").alias("_c"), F.col("_o.o").alias("_o")), "part", ["_c", "_o", "doc_id"], "n_tokens", scratch)
+    table = F.broadcast(spark.createDataFrame(spans, "part string, share long, lap long, cap int"))
+    # a document is used once for every lap of the line on which its middle lies within the share
+    middle = F.col("before") + F.col("n_tokens") / 2
+    picked = line.join(table, "part").withColumn("uses", F.least(F.ceil((F.col("share") - middle) / F.col("lap")), F.col("cap")).cast("int"))
+    return picked.where("uses > 0").select("doc_id", "source", "uses", "n_tokens")
 
 
 def mix_shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1) -> DataFrame:
