@@ -109,3 +109,16 @@ def orphan_references(refs: DataFrame, nodes: DataFrame, snapshots: DataFrame, m
     named = survivors.join(known.select("code", "node_id", "first"), "code").select("node_id", F.col("period").alias("_p"), "cause", "first")
     pairs = skew_join(anchors.withColumn("_p", F.coalesce("period", F.lit(""))), scratch.keep(named), ["node_id", "_p"])
     return pairs.where((F.col("cause") != "late") | (F.col("first") > F.col("created_at"))).select("anchor_id", "period", "cause")
+
+
+def reference_report(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, snapshots: DataFrame, meta: DataFrame) -> DataFrame:
+    """table, period, cause, n_refs: orphan references of intent_anchors and of
+    both ends of the edges, in one pass. Edges carry no time, so their period
+    is null and none of them is late."""
+    when = dict(anchors.dtypes)["created_at"]
+    tag = lambda name, key: F.concat(F.lit(f"{name}\u0001"), key.cast("string")).alias("id")
+    refs = anchors.select(tag("intent_anchors", F.col("id")), "node_id", "created_at")
+    for end in ("source_id", "target_id"):
+        refs = refs.unionByName(edges.select(tag(f"edges.{end}", F.col("id")), F.col(end).alias("node_id"), F.lit(None).cast(when).alias("created_at")))
+    found = orphan_references(refs, nodes, snapshots, meta)
+    return found.groupBy(F.substring_index("anchor_id", "\u0001", 1).alias("table"), "period", "cause").agg(F.count(F.lit(1)).alias("n_refs"))

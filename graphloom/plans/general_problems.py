@@ -110,10 +110,12 @@ def p5_found(spark, d):
     return _orphans(spark, d)
 
 
-@query("p5_report", _ORPHANS + " SELECT period, cause, count(*) AS n_anchors FROM causes WHERE cause IS NOT NULL GROUP BY ALL")
+@query("p5_report", _ORPHANS + """, ends AS (SELECT 'edges.source_id' AS t, id, min(source_id) AS node_id FROM edges WHERE id IS NOT NULL GROUP BY id UNION ALL SELECT 'edges.target_id', id, min(target_id) FROM edges WHERE id IS NOT NULL GROUP BY id),
+gone AS (SELECT t, CASE WHEN h.node_id IS NULL THEN 'missing' ELSE 'deleted' END AS cause FROM ends LEFT JOIN now_ids n USING (node_id) LEFT JOIN held h USING (node_id) WHERE ends.node_id IS NOT NULL AND n.node_id IS NULL)
+SELECT 'intent_anchors' AS "table", period, cause, count(*) AS n_refs FROM causes WHERE cause IS NOT NULL GROUP BY ALL UNION ALL SELECT t, NULL, cause, count(*) FROM gone GROUP BY ALL""")
 def p5_report(spark, d):
-    """Orphan references by period and cause."""
-    return _orphans(spark, d).groupBy("period", "cause").agg(F.count(F.lit(1)).alias("n_anchors"))
+    """Orphan references by table, period and cause."""
+    return orphans.reference_report(*[table(spark, d, t) for t in ("intent_anchors", "edges", "nodes", "node_snapshots", "graph_meta")])
 
 
 _TREE = """

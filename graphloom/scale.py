@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows that a size-checked broadcast may send.
-BROADCAST_ROWS = 200_000
+#: Largest number of rows, and of bytes, that a size-checked broadcast may send.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key that holds more than one row in HOT_SHARE is hot; so at most HOT_SHARE keys are.
 HOT_SHARE = 500
+#: Parts of a hot key whose partner is too large to broadcast.
+SALTS = 64
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,6 +36,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+#: Folders that runs of this process made, by session application.
+_MADE: dict[str, list[str]] = {}
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of all runs of this session so far; to be
+    called when their results are stored, as a result reads them."""
+    for root in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written tables of one run, under a random name in the shared folder. A
     written table survives the loss of executors, unlike cached blocks."""
@@ -42,6 +56,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table; cuts the lineage."""
@@ -65,9 +80,23 @@ def row_count_up_to(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as JSON text, a bound that needs no knowledge of types."""
+    return F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes, told without counting
+    more rows than that."""
+    if row_count_up_to(df, rows) > rows:
+        return False
+    return (df.agg(F.sum(_row_bytes(df))).first()[0] or 0) <= size
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when df has at most limit rows; beyond that the
-    planner shuffles (and splits skewed partitions)."""
+    """Hint a broadcast only when df has at most limit rows, which are ids and
+    numbers of bounded width; beyond that the planner shuffles (and splits
+    skewed partitions). Tables with texts go through small() first."""
     return F.broadcast(df) if row_count_up_to(df, limit) <= limit else df
 
 
@@ -94,9 +123,15 @@ def skew_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inne
         return many.join(one, keys, how)
     hot = F.broadcast(spark.createDataFrame(found, many.select(*keys).schema))
     marked = many.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    few = F.broadcast(one.join(hot, keys, "left_semi"))
     cols = [*many.columns, *[c for c in one.columns if c not in keys]]
-    a = marked.where("_hot").drop("_hot").join(few, keys, how).select(*cols)
+    few = one.join(hot, keys, "left_semi")
+    if small(few):
+        a = marked.where("_hot").drop("_hot").join(F.broadcast(few), keys, how).select(*cols)
+    else:
+        # partners too large to send: a hot key is spread over salts, its one partner repeated for each
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        spread = marked.where("_hot").drop("_hot").withColumn("_salt", salted([c for c in many.columns], SALTS).cast("int"))
+        a = spread.join(few.select("*", salts), [*keys, "_salt"], how).select(*cols)
     b = marked.where("_hot is null").drop("_hot").join(one, keys, how).select(*cols)
     return a.unionByName(b)
 
@@ -139,7 +174,8 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch
         at: dict = {}
         pid = TaskContext.get().partitionId()
         for pdf in batches:
-            for g, part in pdf.groupby(group, sort=False):
+            for g, part in pdf.groupby(group, sort=False, dropna=False):
+                g = None if pd.isna(g) else g
                 sums = part[value].cumsum()
                 yield part.assign(_local=sums - part[value] + at.get(g, 0), _pid=pid)
                 at[g] = at.get(g, 0) + int(sums.iloc[-1])
@@ -153,5 +189,6 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch
         offsets.append((g, pid, at.get(g, 0)))
         at[g] = at.get(g, 0) + t
     kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(offsets, f"`{group}` {kind}, _pid int, _off long")
-    return kept.join(F.broadcast(table), [group, "_pid"]).withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, f"_g {kind}, _p int, _off long"))
+    met = kept.join(table, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_pid") == F.col("_p")))
+    return met.withColumn(name, F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid", "_g", "_p")
