@@ -58,11 +58,13 @@ class Scratch:
         self.made = 0
         _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and return the written table; cuts the lineage."""
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df, in parts by a column if given, and return the written
+        table; cuts the lineage."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
