@@ -87,7 +87,7 @@ def read_mapper(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 #: How a null is written in CSV, so that an empty text is not one.
-_NULL = "\u0001null"
+_NULL = "(null)"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
