@@ -137,7 +137,8 @@ def scorecard(counts: DataFrame, category: str, found: str, expected: str, bars:
     need = F.lit(bar)
     for name, b in bars.items():
         need = F.when(F.col(category) == name, b).otherwise(need)
-    c = counts.withColumn("score", F.round(F.least(F.lit(1.0), F.try_divide(F.col(found), F.col(expected))), 6))
+    ratio = F.try_divide(F.col(found), F.col(expected))
+    c = counts.withColumn("score", F.when(ratio.isNotNull(), F.round(F.least(F.lit(1.0), ratio), 6)))
     return c.select(category, "score", F.when(F.col("score").isNull(), "NONE").when(F.col("score") >= need, "PASS").when(F.col("score") >= 0.5, "PARTIAL").otherwise("FAIL").alias("verdict"))
 
 

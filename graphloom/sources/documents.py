@@ -97,12 +97,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     for c in texts:
         bad = bad | F.coalesce(F.contains(F.col(c), F.lit("\0")), F.lit(False))
     checked = [F.when(bad, F.raise_error(F.lit("a text holds a NUL character")).cast("string")).otherwise(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns]
-    df.select(*checked).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", _NULL).option("emptyValue", "").mode("overwrite").csv(path)
+    df.select(*checked).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", _NULL).mode("overwrite").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What write_csv wrote; an empty text and null stay apart."""
-    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", _NULL).option("emptyValue", "").option("multiLine", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("nullValue", _NULL).option("multiLine", True).csv(path)
 
 
 def append_lines(df: DataFrame, path: str) -> None:
