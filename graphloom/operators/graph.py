@@ -92,17 +92,22 @@ class Graph:
         n = self.node_rows(*types)
         return one_per_id(n if where is None else n.where(where), columns)
 
-    def links(self, *types: str) -> DataFrame:
-        """Edges of the given types (all if none), each id once, both ends in scope."""
+    def edge_rows(self, *types: str) -> DataFrame:
+        """Edge rows of the given types (all if none) with both ends in scope."""
         e = self.edges if not types else self.edges.where(F.col("type").isin(*types))
         if self.scope is not None:
             inside = [F.substring_index(F.col(c), ":", 1).isin(*self.scope) for c in ("source_id", "target_id")]
             e = e.where(inside[0] & inside[1])
-        return one_per_id(e, EDGE_COLUMNS)
+        return e
+
+    def links(self, *types: str) -> DataFrame:
+        """Edges of the given types (all if none), each id once."""
+        return one_per_id(self.edge_rows(*types), EDGE_COLUMNS)
 
     def pairs(self, *types: str) -> DataFrame:
-        """Distinct (source_id, target_id) over edges of the given types."""
-        return self.links(*types).select("source_id", "target_id").distinct()
+        """Distinct (source_id, target_id) over edges of the given types, by
+        hash and without the id that links() sorts by."""
+        return self.edge_rows(*types).where("id is not null").select("source_id", "target_id").distinct()
 
     def named(self, prefix: str, *types: str, columns: Iterable[str] = ("type", "name", "repo_id", "file_path")) -> DataFrame:
         """Nodes with every column under a prefix, to be joined to edges."""

@@ -10,10 +10,13 @@ An order without lineitem: unresolved call."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph
+from ..operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph
+from ..scale import scratch_dir
 from .tables import table
 
 #: The same graph in SQL: fn, calls, ops, ext, ep, ent, un as common table expressions.
@@ -56,9 +59,36 @@ def _edges(df: DataFrame, kind: str, confidence: Column | None = None, created_b
     )
 
 
+#: Graphs built by this process: (application, folder) to where they are stored.
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def trade_graph(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
     """The graph and its unresolved calls (repo_id, caller_id,
-    callee_expression, callee_name_tail, file_path, line)."""
+    callee_expression, callee_name_tail, file_path, line).
+
+    It is built once for a session and folder and stored by type, so that a
+    read scans the types it asks for and nothing else."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED or not _exists(spark, _STORED[key]):
+        g, un = build_trade_graph(spark, folder)
+        root = f"{scratch_dir(spark)}/trade-{uuid.uuid4().hex}"
+        g.nodes.write.partitionBy("type").parquet(f"{root}/nodes")
+        g.edges.write.partitionBy("type").parquet(f"{root}/edges")
+        un.write.parquet(f"{root}/unresolved")
+        _STORED[key] = root
+    read = lambda name, cols: spark.read.parquet(f"{_STORED[key]}/{name}").select(*cols)
+    un = spark.read.parquet(f"{_STORED[key]}/unresolved")
+    return Graph(read("nodes", ("id", *NODE_COLUMNS)), read("edges", ("id", *EDGE_COLUMNS))), un
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path + "/unresolved/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def build_trade_graph(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
+    """The graph and its unresolved calls as plans over the tables."""
     t = lambda n: table(spark, folder, n)
     region, nation, part = t("region"), t("nation"), t("part")
     home = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", F.concat(F.lit("r"), "n_regionkey").alias("repo"), F.col("n_nationkey").alias("pkg"))
@@ -103,6 +133,7 @@ def trade_graph(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
         _edges(files.select(F.col("package").alias("source_id"), F.col("id").alias("target_id")), "CONTAINS_FILE"),
         _edges(fn.select(F.col("file").alias("source_id"), F.col("id").alias("target_id")), "CONTAINS_FUNCTION"),
     ]
+    edges = [x.select("id", *EDGE_COLUMNS) for x in edges]
     all_nodes, all_edges = nodes[0], edges[0]
     for x in nodes[1:]:
         all_nodes = all_nodes.unionByName(x)
