@@ -10,6 +10,7 @@ their folder's, folders their parent's."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -50,11 +51,14 @@ _PATH = {
 }
 
 
+_QUOTED, _NUMBER = re.compile(r"\"[^\"]*\"|'[^']*'|`[^`]*`"), re.compile(r"\d+(?:\.\d+)?")
+
+
+@functools.lru_cache(maxsize=100_000)
 def line_shape(line: str) -> str:
     """A line without its names, numbers and strings."""
-    s = re.sub(r"\"[^\"]*\"|'[^']*'|`[^`]*`", "s", line.strip())
-    s = re.sub(r"[A-Za-z_$][\w$]*", lambda m: m[0] if m[0] in _KEEP else "a", s)
-    return re.sub(r"\d+(?:\.\d+)?", "0", s)
+    s = _WORD.sub(lambda m: m[0] if m[0] in _KEEP else "a", _QUOTED.sub("s", line.strip()))
+    return _NUMBER.sub("0", s)
 
 
 #: Words that shape a line in common languages.
@@ -148,30 +152,23 @@ def evidence(path: str | None, content: str | None) -> list[float]:
 _DATA = re.compile(r"^(?:[\[\](){},;|\s]|\"[^\"]*\"|'[^']*'|[\w.+/=-]++\s*+[:;,|]|(?:[^\W\d]++(?:-?\d[\w.+-]*+)?|-?\d[\w.+-]*+)(?![\w.+/=-]))++$(?<![{(])")
 
 
-def _log_sum(parts: list[Column]) -> Column:
-    top = F.greatest(*parts)
-    total = F.lit(0.0)
-    for p in parts:
-        total = total + F.exp(p - top)
-    return top + F.log(total)
-
-
 def _pass(cols: list[Column], stays: float) -> list[Column]:
     """A message over an edge: the receiver keeps the sender's label with
-    probability stays, else has any other."""
-    same, other = math.log(stays), math.log((1 - stays) / 4)
-    return [_log_sum([c + (same if i == j else other) for j, c in enumerate(cols)]) for i in range(5)]
+    probability stays, else has any other. Up to a constant, which no label
+    notices."""
+    top = F.greatest(*cols)
+    near = [F.exp(c - top) for c in cols]
+    other = (1 - stays) / 4
+    whole = near[0]
+    for x in near[1:]:
+        whole = whole + x
+    return [F.log(whole * other + x * (stays - other)) for x in near]
 
 
 _B = [f"b{i}" for i in range(5)]
 _M = [f"m{i}" for i in range(5)]
 
 
-def _norm(cols: list[Column]) -> list[Column]:
-    top = F.greatest(*cols)
-    return [c - top for c in cols]
-
-
 def _parent(path: Column) -> Column:
     """Folder of a path; '' is the top of a repository."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
@@ -223,7 +220,7 @@ def label_files(files: DataFrame) -> DataFrame:
     statistics run over all files."""
     scratch = Scratch(files.sparkSession, "provenance")
     leaves = file_evidence(files, scratch)
-    up = leaves.select("repo_id", "dir", *[c.alias(m) for c, m in zip(_norm(_pass([F.col(b) for b in _B], FILE_STAYS)), _M)])
+    up = leaves.select("repo_id", "dir", *[c.alias(m) for c, m in zip(_pass([F.col(b) for b in _B], FILE_STAYS), _M)])
     sums = [F.sum(m).alias(b) for m, b in zip(_M, _B)]
     # by depth, so that each level reads its own folders only
     from_files = scratch.keep(up.groupBy("repo_id", "dir").agg(*sums).withColumn("depth", _depth(F.col("dir"))), by="depth")
@@ -234,7 +231,7 @@ def label_files(files: DataFrame) -> DataFrame:
         here = from_files.where(F.col("depth") == k).drop("depth")
         if rising is not None:
             here = here.unionByName(rising).groupBy("repo_id", "dir").agg(*[F.sum(b).alias(b) for b in _B])
-        messages = _norm(_pass([F.col(b) for b in _B], FOLDER_STAYS))
+        messages = _pass([F.col(b) for b in _B], FOLDER_STAYS)
         levels[k] = scratch.keep(here.select("repo_id", "dir", *_B, *[c.alias(m) for c, m in zip(messages, _M)]))
         rising = levels[k].where("dir <> ''").select("repo_id", _parent(F.col("dir")).alias("dir"), *[F.col(m).alias(b) for m, b in zip(_M, _B)]).groupBy("repo_id", "dir").agg(*[F.sum(b).alias(b) for b in _B])
     known = levels[0].select("repo_id", "dir", *[(F.col(b) + math.log(p)).alias(b) for b, p in zip(_B, PRIOR)])
@@ -242,18 +239,18 @@ def label_files(files: DataFrame) -> DataFrame:
     for k in range(1, deepest + 1):
         above = beliefs[-1].select("repo_id", F.col("dir").alias("up"), *[F.col(b).alias(f"p{i}") for i, b in enumerate(_B)])
         met = skew_join(levels[k].withColumn("up", _parent(F.col("dir"))), above, ["repo_id", "up"])
-        down = _norm(_pass([F.col(f"p{i}") - F.col(m) for i, m in enumerate(_M)], FOLDER_STAYS))
+        down = _pass([F.col(f"p{i}") - F.col(m) for i, m in enumerate(_M)], FOLDER_STAYS)
         beliefs.append(scratch.keep(met.select("repo_id", "dir", *[(F.col(b) + d).alias(b) for b, d in zip(_B, down)])))
     folders = beliefs[0]
     for x in beliefs[1:]:
         folders = folders.unionByName(x)
     folders = folders.select("repo_id", "dir", *[F.col(b).alias(f"p{i}") for i, b in enumerate(_B)])
-    own = _norm(_pass([F.col(b) for b in _B], FILE_STAYS))
+    own = _pass([F.col(b) for b in _B], FILE_STAYS)
     met = skew_join(leaves.select("*", *[c.alias(m) for c, m in zip(own, _M)]), folders, ["repo_id", "dir"])
-    down = _norm(_pass([F.col(f"p{i}") - F.col(m) for i, m in enumerate(_M)], FILE_STAYS))
+    down = _pass([F.col(f"p{i}") - F.col(m) for i, m in enumerate(_M)], FILE_STAYS)
     final = met.select("repo_id", "file_path", *[(F.col(b) + d).alias(b) for b, d in zip(_B, down)])
     best = F.greatest(*_B)
     label = F.lit(LABELS[4])
     for i in (3, 2, 1, 0):
         label = F.when(F.col(_B[i]) == best, LABELS[i]).otherwise(label)
-    return final.select("repo_id", "file_path", label.alias("label"), (F.exp(best - _log_sum([F.col(b) for b in _B]))).alias("certainty"))
+    return final.select("repo_id", "file_path", label.alias("label"), (1 / sum((F.exp(F.col(b) - best) for b in _B), F.lit(0.0))).alias("certainty"))

@@ -14,6 +14,7 @@ query = REGISTRY.query
 
 @query("p1_found")
 def p1_found(spark, d):
+    """Pairs of the most similar vectors."""
     return similar.similar_pairs(table(spark, d, "nodes"))
 
 
