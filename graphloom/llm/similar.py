@@ -6,8 +6,10 @@ apart, and every vector is filed in a leaf. Every vector then walks the tree
 best-bin-first through a priority queue and visits as many leaves as
 calibration asks for: the visits are widened until the recall, measured against
 brute force for query vectors outside the sample, reaches the target. Leaves
-below one node and their visitors meet as a group, to which a visitor is sent
-once; crowded groups are spread over many tasks; equal vectors are searched once."""
+that lie side by side and their visitors meet as a group, to which a visitor is sent
+once; crowded groups are spread over many tasks; equal vectors are searched once.
+The groups meet in passes that each send about as many bytes as the vectors have,
+so that the disk needed does not grow with the visits."""
 
 from __future__ import annotations
 
@@ -15,11 +17,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scale import Scratch, skew_join
+from ..scale import Scratch, checked_broadcast, skew_join
 
 #: Vectors that a tree is fitted on at most in one place (bound on the driver: 16 MB), and least sample for one leaf.
 SAMPLE, LEAF_SAMPLE = 60_000, 24
@@ -30,7 +33,11 @@ BRANCH, LEAF, LEAVES, TOP = 16, 1024, 200_000, 512
 #: Recall that calibration must reach over the probes.
 RECALL = 0.995
 #: Vectors and visitors in one block of a group.
-BLOCK, VISITORS = 65_536, 65_536
+BLOCK, VISITORS = 65_536, 131_072
+#: Leaves of one group at most, about a block of vectors.
+GROUP = BLOCK // LEAF
+#: Bytes that one pass of groups may send at least; beyond that, as many as the vectors have.
+PASS = 256 << 20
 
 
 class Tree:
@@ -75,10 +82,30 @@ class Tree:
         self.leaves = [i for i, c in enumerate(self.children) if not len(c)]
         self.number = {n: i for i, n in enumerate(self.leaves)}
         self.stacked = [np.stack([self.centers[j] for j in c]) if len(c) else None for c in self.children]
-        above = {int(j): i for i, c in enumerate(self.children) for j in c}
-        self.group = np.array([above.get(n, 0) for n in self.leaves], dtype=np.int32)
+        self.group = self._groups()
         return self
 
+    def _groups(self) -> np.ndarray:
+        """Group of each leaf: parts of the tree, side by side below one node,
+        with at most GROUP leaves together, and at least about 16 groups.
+        Children have greater numbers than their parent."""
+        most = max(1, min(GROUP, len(self.leaves) // 16))
+        size = np.array([not len(c) for c in self.children], dtype=np.int64)
+        for i in range(len(self.children) - 1, -1, -1):
+            if len(self.children[i]):
+                size[i] = size[self.children[i]].sum()
+        group, made = np.zeros(len(self.children), dtype=np.int32), 0
+        for i, c in enumerate(self.children):
+            if size[i] <= most:
+                group[c] = group[i]
+                continue
+            held = most
+            for j in c:
+                if size[j] <= most:
+                    made, held = (made + 1, size[j]) if held + size[j] > most else (made, held + size[j])
+                    group[j] = made
+        return group[self.leaves]
+
     def graft(self, parts: dict[int, list[tuple[int, int, bytes]]]) -> Tree:
         """Put grown subtrees in the place of leaves: by leaf number the rows
         (node, parent, center) of a subtree, its root 0 being the leaf."""
@@ -207,12 +234,17 @@ class Index:
     def __init__(self, vectors: DataFrame, k: int = 5, least: float = -1.0, recall: float = RECALL, scratch: Scratch | None = None, leaf: int = LEAF, sample: int = SAMPLE):
         self.k, self.least = k, least
         self.scratch = scratch or Scratch(vectors.sparkSession, "similar")
-        keyed = self.scratch.keep(vectors.withColumn("gid", F.md5("v")))
+        keyed = self.scratch.keep(vectors.withColumn("gid", F.md5("v")), free=True)
+        # from here on ids and vectors are apart, so that no shuffle takes both along
+        self.members = self.scratch.keep(keyed.select("id", "gid"))
         # the first k + 1 ids of each group of equal vectors; Spark limits each group before it shuffles
-        ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("gid").orderBy("id"))).where(F.col("r") <= k + 1)
-        self.heads = self.scratch.keep(ranked)
-        self.members = keyed.select("id", "gid")
-        self.reps = self.heads.where("r = 1").select("gid", "v")
+        ranked = self.members.withColumn("r", F.row_number().over(Window.partitionBy("gid").orderBy("id"))).where(F.col("r") <= k + 1)
+        self.heads = self.scratch.keep(ranked, free=True)
+        equal = checked_broadcast(self.scratch.keep(self.heads.where("r = 2").select("gid").join(self.heads.where("r = 1").select("gid", F.col("id").alias("first")), "gid"), free=True))
+        first = skew_join(keyed, equal, ["gid"], "left").where("first is null or first = id")
+        self.reps = self.scratch.keep(first.select("gid", "v"), free=True)
+        self.scratch.drop(keyed)
+        self.filed: DataFrame | None = None
         self.n = self.reps.count()
         self.leaf = max(leaf, self.n // LEAVES)
         self.tree = Tree()
@@ -275,33 +307,56 @@ class Index:
             self.visits = int(r[min(len(r) - 1, int(np.ceil(recall * len(r))) - 1)]) + 1
             self.measured = float((r < self.visits).mean())
 
+    def _file(self) -> DataFrame:
+        """gid, v, leaf and its group, asks: the visits of each vector, one array
+        for each group: its number and the leaves to visit there."""
+        if self.filed is not None:
+            return self.filed
+        tree, visits = self.tree, self.visits
+
+        def walk(batches):
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1)
+                leaf = tree.file(x)
+                flat, ends, outer = [], [0], [0]
+                for v in x:
+                    seen = np.array(tree.visit(v, visits), dtype=np.int32)
+                    of = tree.group[seen]
+                    for g in np.unique(of):
+                        flat += [[g], seen[of == g]]
+                        ends.append(ends[-1] + 1 + len(flat[-1]))
+                    outer.append(len(ends) - 1)
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *flat]).astype(np.int32)))
+                asks = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([batch.column("gid"), batch.column("v"), pa.array(leaf, pa.int32()), pa.array(tree.group[leaf], pa.int32()), asks], ["gid", "v", "leaf", "grp", "asks"])
+
+        reps = self.reps
+        self.filed = self.scratch.keep(reps.select("gid", "v").mapInArrow(walk, "gid string, v binary, leaf int, grp int, asks array<array<int>>"))
+        self.reps = self.filed.select("gid", "v")
+        self.scratch.drop(reps)
+        return self.filed
+
+    def _passes(self) -> tuple[list[tuple[int, int]], pd.DataFrame]:
+        """Ranges of groups that meet in one pass, and by group the blocks of
+        its vectors and of its visitors. The driver holds one row a group, of
+        which there are fewer than leaves."""
+        count = lambda df: df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("grp").n
+        of = pd.DataFrame({"own": count(self.filed), "asks": count(self.filed.select(F.explode("asks").alias("a")).select(F.col("a")[0].alias("grp")))}).dropna().sort_index()
+        nb, nq = -(-of.own // BLOCK), -(-of.asks // VISITORS)
+        one = 4 * max(1, len(self.tree.centers[0])) + 48
+        at = ((of.own * nq + of.asks * nb) * one).cumsum() // max(PASS, self.n * one)
+        plan = pd.DataFrame({"grp": of.index.astype(int), "nb": nb.astype(int).to_numpy(), "nq": nq.astype(int).to_numpy()})
+        lows = plan.grp.groupby(at.to_numpy()).min().tolist()
+        return list(zip(lows, [*lows[1:], 1 << 30])), plan
+
     def neighbours(self) -> DataFrame:
         """gid, other, s: for each distinct vector its k most similar other
         distinct vectors among the leaves it visits, at least self.least."""
-        tree, visits, k, least = self.tree, self.visits, self.k, self.least
-
-        @F.pandas_udf(T.IntegerType())
-        def file(v: pd.Series) -> pd.Series:
-            return pd.Series(tree.file(_stack(v)))
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def visit(v: pd.Series) -> pd.Series:
-            return pd.Series([np.array(tree.visit(r, visits), dtype=np.int32) for r in _stack(v)], dtype=object)
-
-        filed = self.scratch.keep(self.reps.select("gid", "v", file("v").alias("leaf"), visit("v").alias("visited")))
-        # leaf to group, one row for each of the at most LEAVES leaves
-        groups = F.broadcast(self.scratch.keep(self.reps.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(tree.group)], "leaf int, grp int")))
-        homed = filed.select("gid", "v", "leaf").join(groups, "leaf")
-        # a visitor is sent to a group once, with the leaves it visits there
-        asked = filed.select("gid", F.explode("visited").alias("leaf")).join(groups, "leaf").groupBy("gid", "grp").agg(F.collect_list("leaf").alias("leaves"))
-        asked = self.scratch.keep(asked)
-        blocks = homed.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-        crowd = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("nq"))
-        plan = F.broadcast(self.scratch.keep(blocks.join(crowd, "grp")))
+        k, least = self.k, self.least
+        filed = self._file()
+        passes, plan = self._passes()
         salt = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = homed.join(plan, "grp").select("grp", salt("nb").alias("b"), every("nq").alias("q"), "gid", "v", "leaf")
-        right = asked.join(plan, "grp").join(filed.select("gid", "v"), "gid").select(F.col("grp").alias("grp_"), salt("nq").alias("q_"), every("nb").alias("b_"), F.col("gid").alias("ask"), F.col("v").alias("w"), "leaves")
 
         def meet(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
             none = pd.DataFrame({"gid": pd.Series(dtype=object), "other": pd.Series(dtype=object), "s": pd.Series(dtype=float)})
@@ -325,17 +380,29 @@ class Index:
                         out.append(pd.DataFrame({"gid": names[r], "other": ids[c], "s": np.einsum("ij,ij->i", q[r].astype(np.float64), x[c].astype(np.float64))}))
             return pd.concat(out) if out else none
 
-        found = left.groupBy("grp", "b", "q").cogroup(right.groupBy("grp_", "b_", "q_")).applyInPandas(meet, "gid string, other string, s double")
+        found = None
+        for low, high in passes:
+            rows = plan[(plan.grp >= low) & (plan.grp < high)]
+            here = F.broadcast(filed.sparkSession.createDataFrame(rows.values.tolist(), "grp int, nb int, nq int"))
+            within = F.filter("asks", lambda a: (a[0] >= F.lit(low)) & (a[0] < F.lit(high)))
+            asked = filed.select("gid", "v", F.explode(within).alias("a")).select("gid", "v", F.col("a")[0].alias("grp"), F.slice("a", 2, F.size("a") - 1).alias("leaves"))
+            left = filed.where((F.col("grp") >= low) & (F.col("grp") < high)).join(here, "grp").select("grp", salt("nb").alias("b"), every("nq").alias("q"), "gid", "v", "leaf")
+            right = asked.join(here, "grp").select(F.col("grp").alias("grp_"), salt("nq").alias("q_"), every("nb").alias("b_"), F.col("gid").alias("ask"), F.col("v").alias("w"), "leaves")
+            met = left.groupBy("grp", "b", "q").cogroup(right.groupBy("grp_", "b_", "q_")).applyInPandas(meet, "gid string, other string, s double")
+            one = self.scratch.keep(met, free=True)
+            found = one if found is None else found.unionByName(one)
+        if found is None:
+            return filed.sparkSession.createDataFrame([], "gid string, other string, s double")
         w = Window.partitionBy("gid").orderBy(F.desc("s"), "other")
         return found.where(F.col("s") >= least).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("gid", "other", "s")
 
     def top(self) -> DataFrame:
         """id, other, s: for each id its k most similar other ids, equal
         similarities by the smaller id. Ids with equal vectors have s 1."""
-        near = self.scratch.keep(self.neighbours())
+        near = self.scratch.keep(self.neighbours(), free=True)
         slim = self.heads.select(F.col("gid").alias("other"), F.struct(F.lit(0.0).alias("away"), F.col("id")).alias("h"), "r")
         own = slim.select(F.col("other").alias("gid"), "h")
-        others = skew_join(near, self.scratch.keep(slim.where(F.col("r") <= self.k).groupBy("other").agg(F.collect_list("h").alias("hs"))), ["other"])
+        others = skew_join(near, self.scratch.keep(slim.where(F.col("r") <= self.k).groupBy("other").agg(F.collect_list("h").alias("hs")), free=True), ["other"])
         more = others.select("gid", F.explode(F.transform("hs", lambda x: F.struct((1 - F.col("s")).alias("away"), x["id"].alias("id")))).alias("h"))
         # at most k + 1 own heads and k * k heads of neighbours for each group
         lists = own.unionByName(more).groupBy("gid").agg(F.sort_array(F.collect_list("h")).alias("hs"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key that holds more than one row in HOT_SHARE is hot; so at most HOT_SHARE keys are.
 HOT_SHARE = 500
+#: Setting that deletes the shuffle files of a statement when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Parts of a hot key whose partner is too large to broadcast.
 SALTS = 64
 
@@ -58,13 +60,19 @@ class Scratch:
         self.made = 0
         _MADE.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
-    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None, free: bool = False) -> DataFrame:
         """Write df, in parts by a column if given, and return the written
-        table; cuts the lineage."""
+        table; cuts the lineage. free: the shuffle files of the write are deleted
+        at its end instead of whenever the driver collects its garbage."""
         self.made += 1
         path = f"{self.root}/{self.made}"
         out = df.write.option("compression", "zstd")
-        (out.partitionBy(by) if by else out).parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true" if free else before)
+        try:
+            (out.partitionBy(by) if by else out).parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 from graphloom.llm import similar
@@ -53,3 +55,27 @@ def test_equal_vectors_and_none(spark):
     assert got == want
     assert similar.similar_pairs(rows.limit(0), width=2).count() == 0
     assert similar.recall_report(rows.limit(0), width=2).first().recall == 1.0
+
+
+def test_disk_does_not_grow_with_visits(spark, monkeypatch):
+    """Wide visits send every vector to many groups; what stays on disk may not follow."""
+    x = np.random.default_rng(11).normal(size=(3000, 64))
+    data = spark.createDataFrame([(f"n{i:04d}", [float(v) for v in row]) for i, row in enumerate(x)], "id string, embedding array<double>")
+    dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {os.path.join(r, f): os.path.getsize(os.path.join(r, f)) for d in dirs for r, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+
+    def run():
+        index = similar.Index(similar.usable_vectors(data, 64), 5, 0.38, leaf=24)
+        before = shuffled()
+        rows = sorted(tuple(r) for r in index.neighbours().collect())
+        return index, rows, sum(n for f, n in shuffled().items() if f not in before)
+
+    monkeypatch.setattr(similar, "GROUP", 8, raising=False)
+    _, whole, _ = run()
+    monkeypatch.setattr(similar, "PASS", 1, raising=False)
+    index, rows, left = run()
+    assert index.visits > 20 and rows == whole and len(rows) > 1000
+    assert left < 2 * 3000 * 64 * 4
+    assert len(index._passes()[0]) > 4
