@@ -76,3 +76,27 @@ def test_odd_texts():
     rows = [(1, "s", None), (2, "s", ""), (3, None, " \n"), (4, "s", long), (4, "s", long), (5, "s", "."), (None, "s", "lost wor")]
     assert not set(found(rows)) & {1, 2, 3, 4, 5}
     assert found(rows[:0]) == {}
+
+
+def test_beginnings_of_words_in_a_large_corpus():
+    """The same beginning of a word ends many texts, here and there before a mark; more texts may not hide it."""
+    r = random.Random(12)
+    for times in (1, 20):
+        rows, cut = [], []
+        for i in range(100 * times):
+            rows.append((i, "s", f"{word(r)} {word(r)} takes the integration of {word(r)} {word(r)}."))
+        for i in range(6 * times):
+            rows.append((10_000 + i, "s", f"{word(r)} {word(r)} takes the {word(r)} integr"))
+            cut.append(10_000 + i)
+            if i % 6 == 0:
+                rows += [(20_000 + i, "s", f"{word(r)} {word(r)} takes the {word(r)} integr [truncated]"), (30_000 + i, "s", f"{word(r)} {word(r)} of the ...")]
+                cut += [20_000 + i] + [30_000 + i] * (times > 1)
+        # ends many texts and is no beginning of another word
+        rows += [(40_000 + i, "s", f"The {word(r)} {word(r)} stores it.\nSigned off by the bot") for i in range(6 * times)]
+        # a whole word with longer forms, that ends texts now and then
+        rows += [(50_000 + i, "s", f"{word(r)} store the record, record by record, of records and records and records and records {word(r)}.") for i in range(20 * times)]
+        rows += [(60_000 + i, "s", f"{word(r)} {word(r)} the record") for i in range(6 * times)]
+        # a source each, so that equal lengths tell nothing
+        got = found([(i, f"s{i}", text) for i, _, text in rows])
+        assert set(cut) <= set(got), times
+        assert not {i for i in got if i < 10_000 or i >= 40_000}, times
