@@ -7,16 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import skew_join
+from ..scale import Scratch
 
 #: Words in a shingle, bands, and hashes in a band: a pair of similarity 0.8
 #: shares a band with probability 1 - (1 - 0.8 ** 4) ** 12 > 0.998.
 WORDS, BANDS, ROWS = 5, 12, 4
 #: Words that stand for the end of a text.
 CLOSING = 8
+#: Words before the last one that a text is aligned by.
+ANCHOR = 3
 #: Characters that are hashed at a time.
 CHUNK = 4_000_000
 
@@ -93,12 +96,12 @@ class Hashes:
             run = run - np.repeat(run[np.minimum(self.start, len(run) - 1)], self.count)
             return (run + self.place.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def closing(self) -> np.ndarray:
-        """For every word a key of the CLOSING words before it; meaningless
-        where there are fewer."""
+    def closing(self, words: int = CLOSING) -> np.ndarray:
+        """For every word a key of so many words before it; meaningless where
+        there are fewer."""
         n, out = len(self.h), np.zeros(len(self.h), dtype=_U)
         with np.errstate(over="ignore"):
-            for j, m in enumerate(mixed(CLOSING, 5), 1):
+            for j, m in enumerate(mixed(words, 5), 1):
                 out[j:] += self.h[: n - j] * m
             return (out ^ (out >> _U(29))).view(np.int64)
 
@@ -120,38 +123,71 @@ def shingle_set(words: list[str]) -> np.ndarray:
     return np.unique(Hashes([words]).shingles()[0])
 
 
-def band_links(made: DataFrame) -> DataFrame:
-    """Distinct (tid, hub) from made (tid, size, head, bands): each text with
-    the longest text of every band bucket it is in, and with the longest of
-    those that begin as it does; only hubs longer than the text. So a bucket of
-    n texts gives at most 2 n links, whatever its size."""
-    rows = made.select("tid", "size", "head", F.posexplode("bands").alias("band", "key"))
-    best = F.max_by(F.struct(F.col("tid").alias("hub"), F.col("size").alias("hub_size")), F.struct(F.col("size"), -F.col("tid"))).alias("h")
-    finer = rows.groupBy("band", "key", "head").agg(F.count(F.lit(1)).alias("n"), best)
-    coarse = finer.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max_by("h", F.struct(F.col("h.hub_size"), -F.col("h.hub"))).alias("h"))
-    # buckets of one text need no join
-    a = skew_join(rows, finer.where("n > 1").select("band", "key", "head", "h"), ["band", "key", "head"])
-    b = skew_join(rows, coarse.where("n > 1").select("band", "key", "h"), ["band", "key"])
-    both = a.select("tid", "size", "h").unionByName(b.select("tid", "size", "h"))
-    return both.where(F.col("h.hub_size") > F.col("size")).select("tid", F.col("h.hub").alias("hub")).distinct()
-
-
-def beginning_links(made: DataFrame) -> DataFrame:
-    """Distinct (tid, hub) from made (tid, size, n, words, before, closing): each
-    text with a text that has the same words before its last word and there
-    goes on. The same words are all before (from WORDS on) or the CLOSING ones.
-    Of several the shortest is taken, and the shortest that goes on within the
-    word; so an exact beginning, cut anywhere, meets its nearest continuation
-    and a text gives at most 4 links."""
+def buckets(made: DataFrame) -> DataFrame:
+    """tid, bucket from made (tid, bands): the band buckets of two texts or more."""
+    rows = made.select("tid", F.posexplode("bands").alias("band", "key")).select("tid", F.xxhash64("band", "key").alias("bucket"))
+    return rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi")
+
+
+def _spots(made: DataFrame, keys: list) -> DataFrame:
+    """tid, p, word, before, more, key, loose from made: the words of the texts
+    by place, more being whether others follow, once for each (key, loose)."""
     # zipped, so that a row takes no array along
-    spots = made.select("tid", "size", "n", F.posexplode(F.arrays_zip("words", "before", "closing")).alias("p", "x"))
-    keys = F.array_compact(F.array(F.when(F.col("p") >= WORDS, F.col("x.before")), F.when(F.col("p") >= CLOSING, F.col("x.closing"))))
-    spots = spots.where(F.col("p") >= WORDS).select("tid", "size", F.col("x.words").alias("word"), (F.col("p") < F.col("n") - 1).alias("more"), F.explode(keys).alias("key"))
-    ends = spots.where("not more").select("tid", "key", F.xxhash64("word").alias("w"))
+    spots = made.select("tid", "n", F.posexplode(F.arrays_zip("words", "before", "closing", "near")).alias("p", "x"))
+    pairs = F.array_compact(F.array(*[F.when(at, F.struct(key.alias("key"), F.lit(loose).alias("loose"))) for at, key, loose in keys]))
+    keyed = spots.select("tid", "p", F.col("x.words").alias("word"), F.col("x.before").alias("before"), (F.col("p") < F.col("n") - 1).alias("more"), pairs.alias("keys"))
+    return keyed.where(F.size("keys") > 0).select("tid", "p", "word", "before", "more", F.explode("keys").alias("k")).select("tid", "p", "word", "before", "more", "k.*")
+
+
+def _band_keys(batches):
+    for batch in batches:
+        bands = Hashes(batch.column("words").to_pylist()).bands()
+        steps = pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "w", "hub", "other")), pa.ListArray.from_arrays(steps, pa.array(bands.ravel(), pa.int64()))], ["key", "w", "hub", "other", "bands"])
+
+
+def _links(spots: DataFrame, made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (tid, hub) from spots: each text with the texts that have its
+    last key and there go on, its last word being the beginning of theirs. Texts
+    that begin alike up to there and go on alike (within the word or after it)
+    stand or fall together when they are aligned, so one of them is given; no
+    beginning is left out. So a family with a shared beginning gives few links
+    a text, whatever its size. Where the key is loose, so that texts of any
+    beginning can have it, the beginning must share a band with the text."""
+    ends = scratch.keep(spots.where("not more").select("tid", "key", F.xxhash64("word").alias("w"), "word", "loose"), free=True)
     begun = F.transform(
         F.sequence(F.lit(1), F.length("word")),
         lambda i: F.struct(F.xxhash64(F.substring("word", F.lit(1), i)).alias("w"), F.substring("word", i + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]").alias("mid"), (i == F.length("word")).alias("full")),
     )
-    met = spots.join(ends.select("key").distinct(), "key", "left_semi").select("tid", "key", "size", "more", F.explode(begun).alias("x")).where("more or not x.full")
-    hubs = met.groupBy("key", "x.w").agg(F.min_by("tid", F.struct("size", "tid")).alias("any"), F.min_by("tid", F.when(F.col("x.mid"), F.struct("size", "tid"))).alias("mid"))
-    return skew_join(ends, hubs, ["key", "w"]).select("tid", F.explode(F.array("any", "mid")).alias("hub")).where("hub is not null and hub <> tid").distinct()
+    met = spots.join(ends.select("key").distinct(), "key", "left_semi").select("tid", "p", "key", "before", "loose", "more", F.explode(begun).alias("x")).where("more or not x.full")
+    # two of each, as one of them can be the text itself
+    grouped = met.select("*", "x.w", "x.mid").groupBy("key", "w", "before", "mid", "loose").agg(F.min("p").alias("p"), F.min("tid").alias("hub"), F.max("tid").alias("other"))
+    hubs = scratch.keep(grouped.join(ends.groupBy("key", "w").agg(F.min("word").alias("word")), ["key", "w"]), free=True)
+    pick = F.when(F.col("hub") == F.col("tid"), F.col("other")).otherwise(F.col("hub")).alias("hub")
+    close = ends.where("not loose").select("tid", "key", "w").join(hubs.where("not loose").select("key", "w", "hub", "other"), ["key", "w"]).select("tid", pick)
+    beginnings = hubs.where("loose").join(made.select(F.col("tid").alias("hub"), "words"), "hub").select("key", "w", "hub", "other", F.concat(F.slice("words", F.lit(1), F.col("p")), F.array("word")).alias("words"))
+    theirs = beginnings.mapInArrow(_band_keys, "key long, w long, hub long, other long, bands array<long>")
+    mine = ends.where("loose").select("tid", "key", "w").join(made.select("tid", "bands"), "tid")
+    banded = lambda df, *c: df.select(*c, "key", "w", F.posexplode("bands").alias("band", "b")).select(*c, F.xxhash64("key", "w", "band", "b").alias("bucket"))
+    near = banded(mine, "tid").join(banded(theirs, "hub", "other"), "bucket").select("tid", pick)
+    return close.unionByName(near).where("hub <> tid").distinct()
+
+
+def band_links(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (tid, hub) from made (tid, n, words, before, closing, near,
+    bands): each text with the texts of its band buckets that can go on where it
+    ends, as they have its last words; see _links."""
+    shared = scratch.keep(buckets(made), free=True)
+    members = made.join(shared.select("tid").distinct(), "tid", "left_semi")
+    near = scratch.keep(_spots(members, [(F.col("p") >= ANCHOR, F.col("x.near"), False)]), free=True)
+    # words without their like at the end of a text of some bucket are not sent to the buckets
+    near = near.join(near.where("not more").select("key").distinct(), "key", "left_semi")
+    return _links(scratch.keep(near.join(shared, "tid").select("tid", "p", "word", "before", "more", "loose", F.xxhash64("bucket", "key").alias("key")), free=True), made, scratch)
+
+
+def beginning_links(made: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct (tid, hub) from made (tid, n, words, before, closing, near,
+    bands): each text with the texts that have the same words before its last
+    word and there go on. The same words are all before (from WORDS on) or the
+    CLOSING ones, after a beginning that shares a band; see _links."""
+    return _links(_spots(made, [(F.col("p") >= WORDS, F.col("x.before"), False), (F.col("p") >= CLOSING, F.col("x.closing"), True)]), made, scratch)

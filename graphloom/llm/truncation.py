@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import Scratch, checked_broadcast, skew_join
-from .minhash import Hashes, band_links, beginning_links, chunks, shingle_set, words_of
+from .minhash import ANCHOR, Hashes, band_links, beginning_links, chunks, shingle_set, words_of
 
 #: Similarity of near-copies.
 SIMILAR = 0.8
@@ -106,7 +106,7 @@ def _closes_sentence(word: str) -> bool:
 
 
 def _features(batches):
-    """tid, kind, word, n, words, before, closing, bands of each text."""
+    """tid, kind, word, n, words, before, closing, near, bands of each text."""
     for batch in batches:
         tids, texts = batch.column("tid"), batch.column("text").to_pylist()
         for a, b in chunks(texts):
@@ -125,12 +125,13 @@ def _features(batches):
                 listed(h.flat, pa.string()),
                 listed(h.before(), pa.int64()),
                 listed(h.closing(), pa.int64()),
+                listed(h.closing(ANCHOR), pa.int64()),
                 pa.ListArray.from_arrays(steps, pa.array(bands.ravel(), pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["tid", "kind", "word", "n", "words", "before", "closing", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "kind", "word", "n", "words", "before", "closing", "near", "bands"])
 
 
-_FEATURES = "tid long, kind string, word string, n int, words array<string>, before array<long>, closing array<long>, bands array<long>"
+_FEATURES = "tid long, kind string, word string, n int, words array<string>, before array<long>, closing array<long>, near array<long>, bands array<long>"
 
 
 def _last_word(text: str) -> str:
@@ -190,25 +191,28 @@ def length_limits(ends: DataFrame) -> DataFrame:
 
 def goes_on(text: str, hub: str) -> bool | None:
     """Whether hub is a near-copy of text that goes on where text ends: the
-    last whole words of text are sought in hub, nearest to their own place, and
-    the beginning of hub up to there must be similar to the whole text. True if
+    last whole words of text are sought in hub, at any place, and the beginning
+    of hub up to there must be similar to the whole text. True if
     hub goes on within the word, False if after it, None if it does not."""
     p, q = words_of(text), words_of(hub)
-    anchor = p[-4:-1] or p[:-1]
+    anchor = p[-1 - ANCHOR : -1]
     if not anchor:
         return None
-    places = [i for i in range(len(q) - len(anchor)) if q[i : i + len(anchor)] == anchor and q[i + len(anchor)].startswith(p[-1])]
-    if not places:
-        return None
-    at = min(places, key=lambda i: abs(i - (len(p) - 1 - len(anchor)))) + len(anchor)
-    more = len(q[at]) > len(p[-1])
-    if not more and at + 1 == len(q):
-        return None
-    x, y = shingle_set(p), shingle_set([*q[:at], p[-1]])
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    if both < SIMILAR * (len(x) + len(y) - both):
-        return None
-    return more and q[at][len(p[-1])].isalnum()
+    places = [i + len(anchor) for i in range(len(q) - len(anchor)) if q[i : i + len(anchor)] == anchor and q[i + len(anchor)].startswith(p[-1])]
+    found, x = None, None
+    for at in sorted(places, key=lambda i: abs(i - len(p) + 1)):
+        more = len(q[at]) > len(p[-1])
+        if not more and at + 1 == len(q):
+            continue
+        x = shingle_set(p) if x is None else x
+        y = shingle_set([*q[:at], p[-1]])
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if both < SIMILAR * (len(x) + len(y) - both):
+            continue
+        if more and q[at][len(p[-1])].isalnum():
+            return True
+        found = False
+    return found
 
 
 def _align(batches):
@@ -243,8 +247,7 @@ def cut_texts(documents: DataFrame) -> DataFrame:
     longer = begins.join(final, "word", "left_semi").groupBy("word").agg(F.max("longer").alias("longer"))
     words = final.join(uses, "word", "left").join(longer, "word", "left")
 
-    head = F.xxhash64(F.slice("words", 1, 5)).alias("head")
-    links = scratch.keep(band_links(made.select("tid", F.col("n").alias("size"), head, "bands")).unionByName(beginning_links(made.withColumn("size", F.col("n")))).distinct())
+    links = scratch.keep(band_links(made, scratch).unionByName(beginning_links(made, scratch)).distinct(), free=True)
     pairs = skew_join(links, texts.select(F.col("tid").alias("hub"), F.col("text").alias("hub_text")), ["hub"]).join(texts.select("tid", "text"), "tid")
     copies = pairs.select("tid", "text", "hub_text").mapInArrow(_align, "tid long, mid_word boolean").groupBy("tid").agg(F.max("mid_word").alias("mid_word"))
 

@@ -6,7 +6,7 @@ import random
 
 from compare import session
 
-from graphloom.llm.truncation import cut_texts, ending
+from graphloom.llm.truncation import cut_texts, ending, goes_on
 
 
 def found(rows):
@@ -100,3 +100,33 @@ def test_beginnings_of_words_in_a_large_corpus():
         got = found([(i, f"s{i}", text) for i, _, text in rows])
         assert set(cut) <= set(got), times
         assert not {i for i in got if i < 10_000 or i >= 40_000}, times
+
+
+def test_every_partner_of_a_hot_bucket():
+    """The one text that goes on is neither the longest of its bucket nor the shortest that closes alike."""
+    r = random.Random(13)
+    shared, foot = [" ".join(word(r) for _ in range(n)) for n in (200, 9)]
+    rows, cut = [], []
+    for i in range(40):
+        # a family that begins alike; a word near the end of the copy differs
+        own = [word(r) for _ in range(r.randint(12, 20))]
+        own[7] += ".x"
+        rows.append((i, "s", f"{shared} {' '.join(own)}."))
+        rows.append((1000 + i, "s", f"{shared} {' '.join([*own[:2], 'other', *own[3:7]])} {own[7][:-1]}"))
+        # texts of one foot that begin apart; a word near the beginning of the copy differs
+        own, rest = [word(r) for _ in range(50)], [word(r) for _ in range(r.randint(100, 150))]
+        rows.append((2000 + i, "s", f"{' '.join(own)} {foot} end.x {' '.join(rest)}."))
+        rows.append((3000 + i, "s", f"{' '.join([*own[:3], 'other', *own[4:]])} {foot} end."))
+        cut += [1000 + i, 3000 + i]
+    got = found(rows)
+    assert sorted(got) == sorted(cut) and set(got.values()) == {"copy"}
+
+
+def test_alignment_at_any_place():
+    words = [f"w{i}" for i in range(100)]
+    copy = " ".join(words[:80]) + " a b c en"
+    # the same last words come once more, nearer to the place of the copy's end, after other words
+    hub = " ".join(["so", "it", "is", "said", *words[:80], "a b c ended", *words[80:]])
+    assert goes_on(copy, hub) is True
+    assert goes_on(copy, " ".join([*words[:40], *words[60:80], "a b c", "ended", *words[80:]])) is None
+    assert goes_on(copy, " ".join([*words[:76], "a b c done", "now", *words[76:80], "a b c ends here."])) is True
