@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import segments, signature
-from ..scale import Scratch, checked_broadcast
+from ..scale import Scratch, checked_broadcast, skew_join, small
 
 # Methods that a wildcard stands for, and the confidence of each way.
 METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
@@ -91,12 +91,14 @@ def message_match(calls: DataFrame, consumers: DataFrame) -> DataFrame:
 def longest_prefix(rows: DataFrame, key: str, path: str, prefixes: DataFrame) -> DataFrame:
     """key, owner, prefix: the owner of the longest prefix (prefixes: prefix,
     owner) that a path begins with, at a segment boundary; owner is null where
-    several own it. A path meets its own few prefixes, by equality."""
+    several own it. A path meets its own few prefixes, by equality, and each
+    once however many own it."""
+    owned = Scratch(rows.sparkSession, "prefixes").keep(prefixes.groupBy("prefix").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("o")))
     parts = F.split(F.col(path), "/")
     begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    met = rows.where(F.col(path).isNotNull()).select(key, F.explode(begins).alias("prefix")).where("prefix <> ''").join(prefixes.select("prefix", "owner").distinct(), "prefix")
-    per = met.groupBy(key, "prefix").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("o"))
-    best = per.groupBy(key).agg(F.max_by(F.struct("prefix", "n", "o"), F.length("prefix")).alias("b"))
+    own = rows.where(F.col(path).isNotNull()).select(key, F.explode(begins).alias("prefix")).where("prefix <> ''")
+    met = own.join(F.broadcast(owned), "prefix") if small(owned) else skew_join(own, owned, ["prefix"])
+    best = met.groupBy(key).agg(F.max_by(F.struct("prefix", "n", "o"), F.length("prefix")).alias("b"))
     return best.select(key, F.when(F.col("b.n") == 1, F.col("b.o")).alias("owner"), F.col("b.prefix").alias("prefix"))
 
 

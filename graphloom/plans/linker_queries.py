@@ -78,8 +78,10 @@ def l03(spark, d):
 @query("l05_longest_prefix", "WITH p AS (SELECT 'app/' || regexp_extract(file_path, '^[^/]*/([^/]*)', 1) AS prefix, min(repo_id) AS owner, count(DISTINCT repo_id) AS n FROM nodes WHERE file_path LIKE 'app/%/%' GROUP BY 1 UNION ALL SELECT 'app', min(repo_id), count(DISTINCT repo_id) FROM nodes WHERE file_path LIKE 'app/%/%'), f AS (SELECT DISTINCT file_path FROM source_files), m AS (SELECT file_path, p.* FROM f JOIN p ON file_path = prefix OR starts_with(file_path, prefix || '/')) SELECT file_path, CASE WHEN arg_max(n, len(prefix)) = 1 THEN arg_max(owner, len(prefix)) END AS owner, arg_max(prefix, len(prefix)) AS prefix FROM m GROUP BY 1")
 def l05(spark, d):
     """Owner of the folder that each source file lies in."""
-    n = table(spark, d, "nodes").where("file_path like 'app/%/%'").select("repo_id", F.concat(F.lit("app/"), F.regexp_extract("file_path", "^[^/]*/([^/]*)", 1)).alias("prefix"))
-    p = n.unionByName(n.select("repo_id", F.lit("app").alias("prefix"))).distinct().select("prefix", F.col("repo_id").alias("owner"))
+    n = table(spark, d, "nodes").where("file_path like 'app/%/%'")
+    folders = F.array(F.lit("app"), F.concat(F.lit("app/"), F.regexp_extract("file_path", "^[^/]*/([^/]*)", 1)))
+    # app is a prefix even where no node lies below it
+    p = n.select(F.explode(folders).alias("prefix"), F.col("repo_id").alias("owner")).unionByName(spark.createDataFrame([("app", None)], "prefix string, owner string"))
     return linker.longest_prefix(table(spark, d, "source_files").select("file_path").distinct(), "file_path", "file_path", p)
 
 

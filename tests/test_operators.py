@@ -7,6 +7,7 @@ import datetime as dt
 import random
 
 import pytest
+from compare import duck
 from pyspark.sql import functions as F
 
 from graphloom import scale
@@ -14,6 +15,8 @@ from graphloom.functions.json_values import canonical_json
 from graphloom.functions.paths import signature
 from graphloom.operators import adhoc, hierarchy, linker, orphans, snapshots, tools, transform, traverse, usage, writes
 from graphloom.operators.graph import EDGE_COLUMNS, NODE_COLUMNS, Graph, clamp_depth, clamp_limit, glob_regex
+from graphloom.plans import linker_queries
+from graphloom.sources.tables import COLUMNS
 
 N = "id string, type string, name string, properties string, summary string, repo_id string, file_path string, start_line long, end_line long"
 E = "id string, source_id string, target_id string, type string, confidence double, created_by string, properties string"
@@ -153,6 +156,44 @@ def test_linker_cases(spark):
     assert [(r.call_id, r.level) for r in e.collect()] == [("m", "exact")]
 
 
+def joined_rows(plan):
+    """Rows that the joins of a plan that ran gave."""
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(joined_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_longest_prefix_meets_a_prefix_once(spark, monkeypatch, large):
+    if large:  # as if the prefixes were too many to send
+        monkeypatch.setattr(linker, "small", lambda df: False)
+    paths = [*[f"app/m/f{i}.py" for i in range(60)], "app/n/a.py", "app/n", "app/nn/a.py", "app/o/a.py", "lib/a.py", "", "/app", None]
+    owners = [(p, f"r{i}") for i in range(50) for p in ("app", "app/m")] * 2
+    prefixes = spark.createDataFrame([*owners, ("app/n", "r1"), ("app/n", "r1"), ("app/n", None), ("app/o", None), (None, "r1"), ("", "r1")], "prefix string, owner string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = linker.longest_prefix(spark.createDataFrame([(p,) for p in paths], "p string"), "p", "p", prefixes)
+        got = {r.p: (r.owner, r.prefix) for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    want = {p: (None, "app/m") for p in paths[:60]} | {"app/n/a.py": ("r1", "app/n"), "app/n": ("r1", "app/n"), "app/nn/a.py": (None, "app"), "app/o/a.py": (None, "app/o")}
+    assert got == want
+    # a path has at most three beginnings, and the join for hot keys consists of four
+    assert 0 < joined_rows(df._jdf.queryExecution().executedPlan()) <= 4 * 3 * len(paths)
+
+
+def test_app_is_a_prefix_without_nodes_below_it(spark, tmp_path):
+    nodes = spark.createDataFrame([("r:a", "r", "src/a.py")], "id string, repo_id string, file_path string")
+    files = spark.createDataFrame([("r", "app/x/a.py"), ("r", "app"), ("r", "src/a.py")], "repo_id string, file_path string")
+    for name, df in (("nodes", nodes), ("source_files", files)):
+        for c in set(COLUMNS[name].split()) - set(df.columns):
+            df = df.withColumn(c, F.lit("x"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = linker_queries.l05(spark, str(tmp_path))
+    want = duck(str(tmp_path)).execute(linker_queries.REGISTRY.sql["l05_longest_prefix"]).fetchall()
+    assert sorted(tuple(r) for r in got.select("file_path", "owner", "prefix").collect()) == sorted(want) == [("app", None, "app"), ("app/x/a.py", None, "app")]
+
+
 def test_transform_cases(spark):
     v = lambda t: spark.createDataFrame([(t,)], "t string").select(transform.mask_secrets(F.col("t"))).first()[0]
     assert v("{ apiKey: 'abc', name: \"bob\" }") == "{ apiKey: '[REDACTED]', name: \"bob\" }"
